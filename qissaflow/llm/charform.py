@@ -68,7 +68,8 @@ def prototypes() -> dict[int, str]:
 
 
 #: Texts of these characters only, in this order, are their own form.
-_PLAIN = re.compile(r"(?:[!-~à-ïñ-öù-ü،؛؟آ-غف-ي]+[ً-ْ]?|ء| (?! ))*")
+#: Possessive throughout: a text is given up at the first other character, without trying its runs in smaller parts.
+_PLAIN = re.compile(r"(?:[!-~à-ïñ-öù-ü،؛؟آ-غف-ي]++[ً-ْ]?+|ء| (?! ))*+")
 _BLANKS = re.compile(" {2,}")
 
 

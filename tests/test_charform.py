@@ -1,0 +1,25 @@
+"""Defined results of the consistent form (problem 4)."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+from qissaflow.llm.charform import skeleton
+
+REPO = Path(__file__).resolve().parent.parent
+
+
+def test_long_text_with_a_line_break_at_its_end_comes_to_an_end():
+    """In a process of its own: a pattern that backtracks can't be interrupted."""
+    code = "from qissaflow.llm.charform import skeleton as s; t = 'قال المجنونُ للخليفةِ ' * 5000; assert s(t + '\\n') == s(t) == t.rstrip()"
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=30)
+
+
+def test_plain_text_is_its_own_form():
+    for text in ("", "قالَ المجنون، ثم جاء", "a plain text: 1 + 2"):
+        assert skeleton(text) == text
+
+
+def test_two_marks_on_a_letter_stay():
+    assert skeleton("مجنّون ") == "مجنّون" != skeleton("مجنون")
+    assert skeleton("قَّال\u200f") == skeleton("قَّال")
