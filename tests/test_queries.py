@@ -1,0 +1,27 @@
+"""The registered queries on small tables of their own."""
+
+import __spark_entry__ as e
+
+
+def save(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def found(spark, name, folder):
+    return sorted(map(tuple, e.queries()[name](spark, folder).collect()), key=str)
+
+
+def narratives(spark, folder, quick, strict=()):
+    return save(spark, folder, all_predictions=(quick, "pred_id bigint, text string"), strict_analysis_300=(list(strict), "ex_id bigint, text string"))
+
+
+def test_p4_within_and_across_the_tables(spark, tmp_path):
+    quick = [(1, "قال المجنون"), (2, "قال  المجنون\n"), (3, "قال المجنون"), (4, "قالَ المجنون"), (5, None), (6, "")]
+    folder = narratives(spark, tmp_path, quick, [(7, "قال المجنون"), (8, "شيء آخر")])
+    assert found(spark, "p4_found", folder) == [(1, 2), (1, 7), (2, 3), (2, 7), (3, 7)]
+
+
+def test_p4_of_empty_tables(spark, tmp_path):
+    assert found(spark, "p4_found", narratives(spark, tmp_path, [])) == []
