@@ -64,6 +64,8 @@ def prototypes() -> dict[int, str]:
     table |= {0x2026: "...", 0x2025: "..", 0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0xFB03: "ffi", 0xFB04: "ffl"}
     pairs = LOOKALIKES.replace(" ", "")
     table |= {ord(pairs[k]): pairs[k + 1] for k in range(0, len(pairs), 2)}
+    while changed := {x: y for x, old in table.items() if (y := unicodedata.normalize("NFD", old).translate(table)) != unicodedata.normalize("NFD", old)}:
+        table |= changed
     return table
 
 

@@ -4,7 +4,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from qissaflow.llm.charform import skeleton
+from qissaflow.llm.charform import prototypes, skeleton
 
 REPO = Path(__file__).resolve().parent.parent
 
@@ -23,3 +23,9 @@ def test_plain_text_is_its_own_form():
 def test_two_marks_on_a_letter_stay():
     assert skeleton("مجنّون ") == "مجنّون" != skeleton("مجنون")
     assert skeleton("قَّال\u200f") == skeleton("قَّال")
+
+
+def test_forms_of_look_alikes_go_all_the_way():
+    for form, plain in (("\ufbfc", "ي"), ("\ufb8e", "ك"), ("\ufba6", "ه"), ("\ufbaa", "ه"), ("\ufb50", "ا")):
+        assert skeleton(form) == skeleton(plain) == plain
+    assert all(skeleton(skeleton(chr(code))) == skeleton(chr(code)) for code in prototypes())
