@@ -34,7 +34,7 @@ LOOKALIKES = (
 # Format characters that are drawn, and so stay.
 DRAWN_FORMAT = {0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x08E2}
 # Characters without any ink that Unicode doesn't call format characters or blanks.
-INKLESS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10))
+INKLESS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
 SAME_GLYPHS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
 
 
@@ -42,11 +42,11 @@ SAME_GLYPHS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isola
 def prototypes() -> dict[int, str]:
     """Code point to prototype, built from the character database and ``LOOKALIKES``.
 
-    Positional and full-width forms go to the plain letters; ligatures of more than two letters, which look unlike
-    the letters in a row, and spacing marks stay.
+    Positional and full-width forms go to the plain letters; Arabic ligatures other than lam-alef, which
+    look unlike the letters in a row, and spacing marks stay.
     """
     table: dict[int, str] = {}
-    for code in range(0x80, min(sys.maxunicode, 0x1FFFF) + 1):
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         kind = unicodedata.category(char)
         if kind == "Cf" and code not in DRAWN_FORMAT:

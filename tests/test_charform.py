@@ -29,3 +29,8 @@ def test_forms_of_look_alikes_go_all_the_way():
     for form, plain in (("\ufbfc", "ي"), ("\ufb8e", "ك"), ("\ufba6", "ه"), ("\ufbaa", "ه"), ("\ufb50", "ا")):
         assert skeleton(form) == skeleton(plain) == plain
     assert all(skeleton(skeleton(chr(code))) == skeleton(chr(code)) for code in prototypes())
+
+
+def test_tags_and_all_variation_selectors_are_not_drawn():
+    for code in (0xE0001, 0xE0020, 0xE007F, 0xE0100, 0xE01EF, 0xFE0F):
+        assert skeleton(f"قال{chr(code)} له") == "قال له"
