@@ -100,16 +100,16 @@ def consistent_form(df: DataFrame, id_column: str, text_column: str, out_column:
 
 def form_keys(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``id``, two 64-bit names of the consistent form (together one key) and two of the text as stored; rows whose
-    form is empty are left out. Only these 40 bytes a row go on to any shuffle."""
+    text is null or empty as stored are left out, texts of blanks only are not. Only these 40 bytes a row go on to any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             forms = pa.array([skeleton(x) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), forms, batch.column(1)], ["id", "form", "text"])
 
-    plain = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
+    plain = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("text <> ''")
     kind = plain.schema["id"].dataType.simpleString()
-    forms = plain.mapInArrow(run, f"id {kind}, form string, text string").where("form <> ''")
+    forms = plain.mapInArrow(run, f"id {kind}, form string, text string")
     return forms.select(
         "id",
         F.xxhash64("form").alias("k1"),
@@ -120,7 +120,7 @@ def form_keys(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def look_alike_groups(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row for each record with a non-empty form: its id, the smallest id of its group of equal forms, the group's
+    """One row for each record with a non-empty text: its id, the smallest id of its group of equal forms, the group's
     size and how many different stored texts it has. Groups are never gathered: a hot group is pre-aggregated."""
     keys = form_keys(df, id_column, text_column)
     stored = keys.groupBy("k1", "k2", "r1", "r2").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))

@@ -23,6 +23,11 @@ def test_p4_within_and_across_the_tables(spark, tmp_path):
     assert found(spark, "p4_found", folder) == [(1, 2), (1, 7), (2, 3), (2, 7), (3, 7)]
 
 
+def test_p4_pairs_texts_of_blanks_only(spark, tmp_path):
+    folder = narratives(spark, tmp_path, [(1, " "), (2, "\u00a0"), (3, ""), (4, None), (5, " ")], [(6, "\u200b")])
+    assert found(spark, "p4_found", folder) == [(1, 2), (1, 6), (2, 5), (2, 6), (5, 6)]
+
+
 def test_p4_of_empty_tables(spark, tmp_path):
     assert found(spark, "p4_found", narratives(spark, tmp_path, [])) == []
 
