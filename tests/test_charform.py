@@ -34,3 +34,13 @@ def test_forms_of_look_alikes_go_all_the_way():
 def test_tags_and_all_variation_selectors_are_not_drawn():
     for code in (0xE0001, 0xE0020, 0xE007F, 0xE0100, 0xE01EF, 0xFE0F):
         assert skeleton(f"قال{chr(code)} له") == "قال له"
+
+
+def test_null_empty_and_blank_texts():
+    assert skeleton(None) is None
+    assert skeleton("") == skeleton("  \t\n​") == ""
+
+
+def test_what_a_reader_sees_stays():
+    for one, other in (("أكل", "اكل"), ("قالَ", "قال"), ("قال،", "قال؛"), ("على", "علي"), ("قـال", "قال")):
+        assert skeleton(one) != skeleton(other)

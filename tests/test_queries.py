@@ -93,3 +93,13 @@ def test_p1_four_fifths_of_the_longer_text(spark, tmp_path):
     assert (1, 2) in want and (1, 3) in want and (1, 4) not in want and (1, 7) in want and (8, 9) in want
     assert found(spark, "p1_found", folder) == sorted(want, key=str)
     assert dict(found(spark, "p1_groups", folder)) == {1: 1, 2: 1, 3: 1, 4: 1, 7: 1, 10: 1, 8: 8, 9: 8}
+
+
+def test_groups_count_repeated_rows_and_keep_clashing_columns_apart(spark):
+    from qissaflow.llm.charform import consistent_form, look_alike_groups
+
+    rows = [(3, "قال", 1), (1, "قال ", 2), (2, "قال", 3), (4, "غير", 4), (5, None, 5)]
+    df = spark.createDataFrame(rows, "k1 bigint, text string, form int")
+    got = sorted(map(tuple, look_alike_groups(df, "k1", "text").collect()))
+    assert got == [(1, 1, 3, 2), (2, 1, 3, 2), (3, 1, 3, 2), (4, 4, 1, 1)]
+    assert sorted(map(tuple, consistent_form(df, "k1", "text").collect())) == [(1, "قال"), (2, "قال"), (3, "قال"), (4, "غير"), (5, None)]

@@ -1,0 +1,20 @@
+"""Tables written to the shared folder."""
+
+from qissaflow.llm.scratch import written
+
+
+def test_written_keeps_rows_schema_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, "")], "id bigint, text string")
+    back = written(df, "test")
+    assert back.schema == df.schema and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert back.inputFiles()
+
+
+def test_written_empty_table(spark):
+    df = spark.createDataFrame([], "id bigint, text string")
+    assert written(df, "test").schema == df.schema and written(df, "test").count() == 0
+
+
+def test_two_tables_of_one_name_stay_apart(spark):
+    one, two = written(spark.range(3), "same"), written(spark.range(5), "same")
+    assert (one.count(), two.count()) == (3, 5)
