@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qissaflow.llm import charform, copies, leaks, packing, pieces, splits
+from qissaflow.llm import charform, copies, leaks, packing, pieces, spans, splits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.text_pieces(_table(spark, sf_dir, "all_predictions"), "pred_id", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, sf_dir, "all_predictions"), "pred_id", "text")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_shares(_table(spark, sf_dir, "all_predictions"), "pred_id", "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charform.look_alike_pairs(_narratives(spark, sf_dir), "id", "text")
 
@@ -61,7 +69,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p5_found, p5_splits, p6_found, p6_containers, p7_found)
+    own = (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_shares, p4_found, p5_found, p5_splits, p6_found, p6_containers, p7_found)
     return {f.__name__: f for f in own}
 
 
