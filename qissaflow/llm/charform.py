@@ -12,9 +12,8 @@ length are processed whole.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,6 +34,8 @@ LOOKALIKES = (
 DRAWN_FORMAT = {0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x08E2}
 # Characters without any ink that Unicode doesn't call format characters or blanks.
 INKLESS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
+# The blocks that hold characters to replace; the rest are ideographs, syllables, private use and unassigned.
+BLOCKS = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
 SAME_GLYPHS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
 
 
@@ -46,7 +47,7 @@ def prototypes() -> dict[int, str]:
     look unlike the letters in a row, and spacing marks stay.
     """
     table: dict[int, str] = {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in (c for first, after in BLOCKS for c in range(first, after)):
         char = chr(code)
         kind = unicodedata.category(char)
         if kind == "Cf" and code not in DRAWN_FORMAT:
@@ -75,13 +76,26 @@ _PLAIN = re.compile(r"(?:[!-~à-ïñ-öù-ü،؛؟آ-غف-ي]++[ً-ْ]?+|ء| (?!
 _BLANKS = re.compile(" {2,}")
 
 
+def char_class(codes: Iterable[int]) -> str:
+    """A pattern for one of these code points, with neighbours as ranges."""
+    own = sorted(codes)
+    breaks = [0, *(k for k in range(1, len(own)) if own[k] != own[k - 1] + 1), len(own)]
+    return "[" + "".join(f"\\U{own[a]:08x}-\\U{own[b - 1]:08x}" for a, b in zip(breaks, breaks[1:])) + "]"
+
+
+@lru_cache(1)
+def _replaced() -> re.Pattern[str]:
+    return re.compile(char_class(prototypes()))
+
+
 def skeleton(text: str | None) -> str | None:
     if text is None:
         return None
     if _PLAIN.fullmatch(text) and text[:1] != " " and text[-1:] != " ":
         return text
     table = prototypes()
-    text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
+    text = _replaced().sub(lambda m: table[ord(m[0])], unicodedata.normalize("NFD", text))
+    text = unicodedata.normalize("NFD", text)
     return unicodedata.normalize("NFC", _BLANKS.sub(" ", text).strip(" "))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qissaflow.llm import charform, copies, leaks, packing, pieces, spans, splits
+from qissaflow.llm import abuse, charform, copies, leaks, packing, pieces, spans, splits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +68,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), "doc_id", "text", items, "id", "text_ar")
 
 
+def _texts_and_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str, str, str]:
+    return _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "doc_labels"), "doc_id", "text", "toxic"
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive(*_texts_and_labels(spark, sf_dir))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(*_texts_and_labels(spark, sf_dir))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(*_texts_and_labels(spark, sf_dir), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_shares, p4_found, p5_found, p5_splits, p6_found, p6_containers, p7_found)
+    own = (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_shares, p4_found, p5_found, p5_splits, p6_found, p6_containers, p7_found, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in own}
 
 

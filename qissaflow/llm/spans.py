@@ -48,7 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def _codes() -> tuple[np.ndarray, np.ndarray]:
     """A hash of every code point, and whether it belongs to words (letters, digits and marks)."""
-    kinds = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(0x110000)), bool, 0x110000)
+    kinds = np.zeros(0x110000, bool)
+    kinds[:0x40000] = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(0x40000)), bool, 0x40000)
     return _mix(np.arange(1, 0x110001, dtype=U)), kinds
 
 
