@@ -92,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # SQL for DuckDB; the other queries are tested against brute force in tests/llm.
 ORACLES = {
     "p2_found": """
-        SELECT pred_id, CAST(regexp_matches(text, '[\\p{L}\\p{N}]{1000}[\\p{L}\\p{N}]{1000}[\\p{L}\\p{N}]') AS INTEGER) AS unbroken
+        SELECT pred_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: length(x))), 0) > 2000 AS INTEGER) AS unbroken
         FROM all_predictions WHERE length(text) > 2000""",
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096",
 }
