@@ -12,6 +12,7 @@ from qissaflow.functions import lexicons as L
 from qissaflow.functions import text as T
 from qissaflow.functions.dialect import DUCK, SPARK, Dialect
 from qissaflow.operators import analysis, profiles, scoring, segment
+from qissaflow.plans import model_queries
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -143,6 +144,12 @@ QUERIES |= {"linear_score_topk": linear_score_topk, "feature_contributions": fea
 ORACLES |= _demo_sql()
 
 
+QUERIES |= model_queries.QUERIES
+ORACLES |= model_queries.ORACLES
+_score = " + ".join([f"{scoring.INTERCEPT!r}E0", *(scoring.part(k, *v).replace("AS STRING) IN ('NaN', 'Infinity', '-Infinity')", "AS VARCHAR) IN ('nan', 'inf', '-inf')") for k, v in scoring.DEMO.items())])
+ORACLES["stream_score"] = f"SELECT pred_id, round(p, 9) AS score, p >= 0.5 AS hit FROM (SELECT pred_id, 1.0E0 / (1.0E0 + exp(-({_score}))) AS p FROM ({profiles.features_sql('all_predictions', ['pred_id'], 'text', 'train74')}))"
+
+
 def queries() -> dict[str, Run]:
     return dict(QUERIES)
 
