@@ -1,9 +1,17 @@
 """Slightly edited, extended or rearranged copies (problem 1): pairs of texts that share four fifths of their words.
 
-The words of a text, each with the number of its occurrence, are a set. In one order of all words, two sets that share
-enough have a word in common among their first n - ceil(0.8 n) + 1, and k more among k more; which order it is decides the speed only, so that
-one from a sample of the texts (rare words first) will do. Parities of the sets bound their difference from below and
-drop most false candidates where they arise; the rest are compared whole.
+The words of a text, each with the number of its occurrence, are a set of names. Pigeonhole blocks: if a text of n words may lack d = n - ceil(0.8 n) of
+its words in the other one, then of any d + 1 + k of its words the other has k + 1. Each of a text's d + 1 + k rarest words is a block of its
+own, and pairs that share k + 1 blocks are candidates. (Which words are rare is taken from a sample of the texts; that decides
+the speed only, any order gives the same pairs.)
+
+Hamming distance: the parities of the sets in 256 bits are a fingerprint whose distance is at most the number of words that only one of
+the two has; candidates beyond that leave where they arise. The rest are compared whole, word by word.
+
+Texts with equal words are one class throughout, so copies don't multiply work.
+
+Defined results: null texts and those of fewer than ``least`` words are in no pair; order and punctuation don't count; a word counts as often
+as it occurs in both; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -11,38 +19,68 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qissaflow.llm.charform import skeleton
-from qissaflow.llm.scratch import written
+from qissaflow.llm.charform import char_class, skeleton
+from qissaflow.llm.scratch import spread, written
 from qissaflow.llm.splits import components
 
 LEAST_WORDS, SAMPLE, KNOWN, EXTRA = 20, 5000, 50_000, 20
 _SCHEMA = "id bigint, n int, bag array<bigint>, prefix array<bigint>, s1 bigint, s2 bigint, s3 bigint, s4 bigint"
+U = np.uint64
 
 
 @lru_cache(1)
 def _word() -> re.Pattern[str]:
-    marks = "".join(c for c in map(chr, range(0x300, min(sys.maxunicode, 0x1FFFF) + 1)) if unicodedata.category(c)[0] == "M")
-    return re.compile(rf"(?:[^\W_]|[{marks}])+")
+    marks = char_class(c for c in range(0x300, min(sys.maxunicode, 0x1FFFF) + 1) if unicodedata.category(chr(c))[0] == "M")
+    return re.compile(rf"[\w{marks[1:]}+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters, digits and their marks of the consistent form."""
-    return _word().findall(skeleton(text))
+    return _word().findall(skeleton(text).replace("_", " "))
+
+
+class _Names(dict):
+    """64-bit names of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = name = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+        return name
 
 
-def _tokens(text: str) -> tuple[int, list[str]]:
-    """The number of words, and every word with the number of its occurrence."""
-    own = words(text)
-    return len(own), [f"{w} {k}" for w, c in Counter(own).items() for k in range(c)]
+_NAMES = _Names()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def named(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words of each text, and of every word, by text and name, its text and its name with the number of its
+    occurrence."""
+    found = [words(t) for t in texts]
+    n = np.fromiter(map(len, found), np.int64, len(texts))
+    name = np.fromiter((_NAMES[w] for own in found for w in own), U, int(n.sum()))
+    text = np.repeat(np.arange(len(texts)), n)
+    order = np.lexsort((name, text))
+    name, text = name[order], text[order]
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+    at = np.arange(len(name))
+    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
+    return n, text, _mix(name + occurrence.astype(U) * U(0x9E3779B97F4A7C15))
 
 
 def _bags(df: DataFrame, least: int) -> DataFrame:
@@ -52,46 +90,54 @@ def _bags(df: DataFrame, least: int) -> DataFrame:
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count = Counter(w for t in batch.column(0).to_pylist() for w in _tokens(t)[1])
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            name, n = np.unique(named(batch.column(0).to_pylist())[2].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], ["word", "n"])
 
-    known = some.select("text").mapInArrow(sampled, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    often = {r["word"]: r["n"] for r in known.orderBy(F.desc("n"), "word").limit(KNOWN).collect()}
+    known = some.select("text").mapInArrow(sampled, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    often = known.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    word, count = (often.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(word)
+    word, count = word[order], count[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(1 << 18)
-        def token(word: str) -> tuple[int, int]:
-            return often.get(word, 0), int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
-
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, own = _tokens(text)
-                if n < least:
-                    continue
-                tokens = sorted(map(token, own))
-                parity = 0
-                for _, x in tokens:
-                    parity ^= 1 << (x & 255)
-                parts = [int.from_bytes(parity.to_bytes(32, "little")[k : k + 8], "little", signed=True) for k in (0, 8, 16, 24)]
-                names = [x for _, x in tokens]
-                rows.append((i, n, sorted(names), names[: n - (4 * n + 4) // 5 + 1 + n // EXTRA], *parts))
-            columns = list(zip(*rows)) or [[]] * 8
-            longs = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int32(), longs, longs, *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n", "bag", "prefix", "s1", "s2", "s3", "s4"])
-
-    return texts.mapInArrow(run, _SCHEMA)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            n, text, name = named(batch.column(1).to_pylist())
+            kept = n >= least
+            inside = kept[text]
+            text, name = text[inside], name[inside].view(np.int64)
+            n, ids = n[kept], ids[kept]
+            start = np.concatenate([[0], np.cumsum(n)])
+            bits = (name & 255).astype(np.int64)
+            lanes = []
+            for lane in range(4):
+                bit = np.where(bits >> 6 == lane, U(1) << (bits & 63).astype(U), U(0))
+                lanes.append(np.bitwise_xor.reduceat(bit, start[:-1]).view(np.int64) if len(n) else np.zeros(0, np.int64))
+            rarity = np.zeros(len(name), np.int64)
+            if len(word):
+                at = np.minimum(np.searchsorted(word, name), len(word) - 1)
+                rarity = np.where(word[at] == name, count[at], 0)
+            rare = name[np.lexsort((name, rarity, text))]
+            size = n - (4 * n + 4) // 5 + 1 + n // EXTRA
+            taken = np.repeat(start[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+            bag = name[np.lexsort((name, text))]
+            columns = [pa.array(ids), pa.array(n.astype(np.int32)), lists(bag, n), lists(rare[taken], size), *map(pa.array, lanes)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "bag", "prefix", "s1", "s2", "s3", "s4"])
+
+    return spread(texts).mapInArrow(run, _SCHEMA)
 
 
 def _pairs(df: DataFrame, id_column: str, text_column: str, least: int) -> tuple[DataFrame, DataFrame]:
     """The records with their bag (the smallest id of those with the same words), and the pairs of different bags."""
     plain = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     all_ = written(_bags(plain, least).withColumns({"k1": F.xxhash64("bag"), "k2": F.xxhash64(F.lit(1), "bag")}), "bags")
-    same = all_.groupBy("k1", "k2").agg(F.min("id").alias("bag_id"))
-    members = written(all_.select("id", "k1", "k2").join(same, ["k1", "k2"]).select("id", "bag_id"), "members")
-    bags = all_.join(same.select(F.col("bag_id").alias("id")), "id", "left_semi")
-    keys = written(bags.select("id", "n", "s1", "s2", "s3", "s4", F.posexplode("prefix").alias("at", "token")), "keys")
+    same = written(all_.groupBy("k1", "k2").agg(F.min("id").alias("bag_id"), F.count("*").alias("rows")), "classes")
+    members = all_.select("id", "k1", "k2").join(same, ["k1", "k2"]).select("id", "bag_id")
+    # only texts that have a twin leave the table; the others need no join
+    twins = same.where("rows > 1").select("k1", "k2", "bag_id")
+    bags = all_.join(twins, ["k1", "k2"], "left").where("bag_id IS NULL OR bag_id = id").drop("k1", "k2", "bag_id")
+    keys = bags.select("id", "n", "s1", "s2", "s3", "s4", F.posexplode("prefix").alias("at", "token"))
     a, b = keys.alias("a"), keys.alias("b")
     need = F.expr("(4 * greatest(a.n, b.n) + 4) div 5")
     apart = F.expr(" + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in (1, 2, 3, 4)))

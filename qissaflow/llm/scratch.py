@@ -3,26 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one made for this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN.append(tempfile.mkdtemp(prefix="qissaflow-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return _OWN[0]
+from qissaflow.sources.shared import shared_folder
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -30,8 +16,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may be gone by now
-        pass
+    except Exception as e:  # the session may be gone by now
+        logging.getLogger(__name__).debug("%s was not removed: %s", path, e)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
