@@ -407,3 +407,61 @@ def file_report(d):
     """For each file: rows, statistics of both scores and hits."""
     stats = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 8) AS {c}_median, round(stddev_pop({c}), 6) AS {c}_spread" for c in ("lr", "xgb"))
     return f"SELECT file, count(*) AS n, {stats}, CAST(sum(CASE WHEN lr >= 0.5E0 AND xgb >= 0.5E0 THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM {_scored(d)} GROUP BY file"
+
+
+@analysis("strict_analysis_300")
+def confident_false_positives(d):
+    return f"SELECT ex_id, author, {d.without_nan('lr_prob')} AS lr FROM {{strict_analysis_300}} WHERE NOT is_true_majnun AND {d.without_nan('lr_prob')} > 0.8E0 ORDER BY {d.without_nan('lr_prob')} DESC, ex_id LIMIT 10"
+
+
+@analysis("strict_analysis_300")
+def explained_errors(d):
+    """Of the ten rows at either end of the score: how many the model has right, and its first three errors."""
+    ends = " UNION ALL ".join(f"SELECT * FROM (SELECT ex_id, label, pred, score FROM j ORDER BY score {o}, ex_id LIMIT 10) AS e{o}" for o in ("DESC", "ASC"))
+    judged = _judged(d).replace("SELECT CAST(is_true_majnun", "SELECT ex_id, CAST(is_true_majnun")
+    return f"""WITH j AS (SELECT * FROM {judged} WHERE score IS NOT NULL), ends AS (SELECT DISTINCT * FROM ({ends}) AS u)
+        SELECT ex_id, label, pred, score, round(right_share, 6) AS right_share FROM (SELECT ends.*, avg(CASE WHEN label = pred THEN 1.0E0 ELSE 0.0E0 END) OVER () AS right_share FROM ends) AS w WHERE label <> pred ORDER BY score DESC, ex_id LIMIT 3"""
+
+
+@analysis("heldout_items")
+def feature_prevalence(d):
+    """For simple flags: how often each label has them, and chi-square of the two-by-two table."""
+    flags = {"junun": d.any("t", TRAIN["JUNUN_TERMS"]), "aql": d.any("t", TRAIN["AQL_TERMS"]), "laugh": d.any("t", TRAIN["VALIDATION.laugh"]), "authority": d.any("t", TRAIN["AUTHORITY"]), "question": d.any("t", TRAIN["QUESTIONS"])}
+    base = "(SELECT label, text_ar AS t FROM {heldout_items} WHERE label IS NOT NULL AND text_ar IS NOT NULL) AS q"
+    count = lambda c, y: f"CAST(sum(CASE WHEN {c} AND label = {y} THEN 1 ELSE 0 END) AS DOUBLE)"
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS feature, {count(c, 1)} AS a, {count(f'NOT {c}', 1)} AS b, {count(c, 0)} AS c, {count(f'NOT {c}', 0)} AS e FROM {base}" for k, c in flags.items())
+    chi = "(a + b + c + e) * (a * e - b * c) * (a * e - b * c) / nullif((a + b) * (c + e) * (a + c) * (b + e), 0)"
+    return f"SELECT feature, round(a / nullif(a + b, 0), 6) AS with_label, round(c / nullif(c + e, 0), 6) AS without_label, round({chi}, 6) AS chi2 FROM ({rows}) AS f"
+
+
+@analysis("all_predictions")
+def importance_consensus(d):
+    """Mean rank of files over four rankings: rows, mean scores of either model, hits; the ten best."""
+    stats = f"SELECT file, count(*) AS n, round(avg(lr), 9) AS a, round(avg(xgb), 9) AS b, sum(CASE WHEN lr >= 0.5E0 AND xgb >= 0.5E0 THEN 1 ELSE 0 END) AS hits FROM {_scored(d)} WHERE file IS NOT NULL GROUP BY file"
+    ranks = ", ".join(f"row_number() OVER (ORDER BY {c} DESC NULLS LAST, file) AS r_{c}" for c in ("n", "a", "b", "hits"))
+    return f"SELECT file, (r_n + r_a + r_b + r_hits) / 4.0E0 AS mean_rank FROM (SELECT file, {ranks} FROM ({stats}) AS s) AS r ORDER BY (r_n + r_a + r_b + r_hits), file LIMIT 10"
+
+
+@analysis("all_predictions")
+def crosswise_agreement(d):
+    """Rows on which two lists of predictions are sure alike (0.7 and over, or under 0.3), by side."""
+    side = "CASE WHEN lr >= 0.7E0 AND xgb >= 0.7E0 THEN 'positive' WHEN lr < 0.3E0 AND xgb < 0.3E0 THEN 'negative' ELSE 'open' END"
+    return f"SELECT {side} AS side, count(*) AS n, round(avg(abs(lr - xgb)), 6) AS mean_diff FROM {_scored(d)} WHERE lr IS NOT NULL AND xgb IS NOT NULL GROUP BY {side}"
+
+
+@analysis("scan_candidates")
+def author_sheets(d):
+    """The genre sheet of each author, made from its candidates: texts, structural flags and genres."""
+    flags, classes = rules.structural_flags(d), ("biographical", "dialogue", "narrative", "wisdom", "poetry", "historical", "mixed")
+    sums = ", ".join([f"CAST(sum(CASE WHEN {k} THEN 1 ELSE 0 END) AS BIGINT) AS {k}" for k in flags] + [f"CAST(sum(CASE WHEN genre_class = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{c}" for c in classes])
+    return f"SELECT author, count(*) AS n, {sums} FROM (SELECT author, {_columns(flags | rules.genre(d))} FROM (SELECT author, coalesce(text, '') AS t FROM {{scan_candidates}}) AS b) AS c GROUP BY author"
+
+
+@analysis("all_predictions")
+def text_statistics(d):
+    """Lengths, richness and punctuation of each text."""
+    toks = d.tokens("t", TOKEN)
+    unique = "array_distinct" if d.name == "spark" else "list_distinct"
+    return f"""SELECT pred_id, ln(n + 1) AS log_tokens, ln(length(t) + 1) AS log_chars, length(t) / CAST(n + 1 AS DOUBLE) AS chars_a_token, {d.size('u')} / CAST(n + 1 AS DOUBLE) AS richness,
+        {d.occurrences('t', ['.', '؛', '،'])} AS points, {d.distinct('t', ['و', 'ثم', 'أو'])} AS links FROM (SELECT pred_id, t, {d.size('toks')} AS n, {unique}(toks) AS u FROM (
+        SELECT pred_id, t, {toks} AS toks FROM (SELECT pred_id, coalesce(text, '') AS t FROM {{all_predictions}}) AS b) AS c) AS e"""

@@ -103,6 +103,23 @@ def train_kernel(rows: DataFrame, columns: list[str], gamma: float = 0.05, width
     return model, _auc(model.transform(mapped.where("fold = 0")))
 
 
+def stack(rows: DataFrame, id_column: str, folds: int = 5) -> tuple[object, DataFrame]:
+    """A regression and a single tree, each judging folds it has not seen, and a regression on what both say. The meta model and its rows
+    (id, label, one, other, p)."""
+    from pyspark.ml.functions import vector_to_array
+
+    parts = []
+    for k in range(folds):
+        seen, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        one = LogisticRegression(featuresCol="x", weightCol="weight", regParam=0.1, standardization=False, maxIter=30).fit(seen).transform(held)
+        one = one.select(id_column, "x", "label", "weight", vector_to_array("probability")[1].alias("one"))
+        other = DecisionTreeClassifier(featuresCol="x", weightCol="weight", maxDepth=3).fit(seen).transform(one)
+        parts.append(other.select(id_column, "label", "weight", "one", vector_to_array("probability")[1].alias("other")))
+    base = VectorAssembler(inputCols=["one", "other"], outputCol="meta").transform(reduce(DataFrame.unionByName, parts))
+    model = LogisticRegression(featuresCol="meta", weightCol="weight", maxIter=30).fit(base)
+    return model, model.transform(base).select(id_column, "label", "one", "other", vector_to_array("probability")[1].alias("p"))
+
+
 def distill(rows: DataFrame, soft_column: str, trees: int = 20, depth: int = 5) -> tuple[object, DataFrame]:
     """A forest that follows soft labels; ``rows`` has x. The model and its predictions."""
     model = RandomForestRegressor(featuresCol="x", labelCol=soft_column, numTrees=trees, maxDepth=depth, seed=42).fit(rows)

@@ -301,3 +301,19 @@ def features_sql(table: str, id_columns: list[str], text_column: str, profile: s
     for name, expression in bases(DUCK)[profile]:
         query = f"SELECT *, {expression} AS {name} FROM ({query})"
     return f"SELECT {ids}, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in wanted.items()) + f" FROM ({query})"
+
+
+def lexicon_flags(df: DataFrame, id_columns: list[str], text_column: str, lexicons: dict[str, list[str]]) -> DataFrame:
+    """For each of any number of lexicons: whether the text has a term of it, how many of its terms, and how often they occur."""
+    t = f"coalesce(`{text_column}`, '')"
+    cells = [f"CAST({e} AS DOUBLE) AS {name}_{k}" for name, terms in lexicons.items() for k, e in (("any", SPARK.flag(SPARK.any(t, terms))), ("terms", SPARK.distinct(t, terms)), ("times", SPARK.occurrences(t, terms)))]
+    return df.selectExpr(*(f"`{c}`" for c in id_columns), *cells)
+
+
+def feature_check(features: DataFrame, columns: list[str]) -> DataFrame:
+    """For each feature: its ends, mean, the share of zeros, and how often it is missing or NaN."""
+    from pyspark.sql import functions as F
+
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("f")
+    v = F.col("f.v")
+    return features.select(cells).groupBy(F.col("f.feature").alias("feature")).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 9).alias("mean"), F.round(F.avg((v == 0).cast("int")), 6).alias("zero_share"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"))

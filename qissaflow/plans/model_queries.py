@@ -107,6 +107,10 @@ def active_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("label").agg(F.count("*").alias("n"))
 
 
+def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stack(_labelled(spark, sf_dir), "id", 3)[1]
+
+
 def word2vec_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _items(spark, sf_dir).selectExpr("id", f"{words(SPARK, 'text_ar')} AS toks")
     return models.word_vectors(texts, "toks", size=50, rounds=3)[1].select("id", vector_to_array("vector").alias("vector"))
@@ -179,7 +183,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lr_train_report, top_coefficients, lr_scores, dual_scores, gbt_train_report, tree_rules, kernel_report, distill_rf, router, self_training, active_learning, word2vec_mean, tfidf_knn, knn_embeddings,
+        lr_train_report, top_coefficients, lr_scores, dual_scores, gbt_train_report, tree_rules, kernel_report, distill_rf, router, self_training, active_learning, stacking, word2vec_mean, tfidf_knn, knn_embeddings,
         mutual_information, redundant_features, morphology_features, morphology_ratios, form_counts, annotation_features, stream_score,
     )
 }

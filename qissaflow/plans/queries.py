@@ -140,6 +140,21 @@ def _demo_sql() -> dict[str, str]:
     }
 
 
+CHECKED = [k for k in profiles.train74(SPARK)["junun"]]
+
+
+def feature_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.feature_check(profiles.features(table(spark, sf_dir, "all_predictions"), ["pred_id"], "text", "train74", "junun"), CHECKED)
+
+
+def weighted_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.lexicon_flags(table(spark, sf_dir, "all_predictions"), ["pred_id"], "text", L.STRUCTURE)
+
+
+QUERIES |= {"feature_check": feature_check, "lexicon_flags": weighted_lexicons}
+ORACLES["feature_check"] = f"""SELECT feature, min(v) AS low, max(v) AS high, round(avg(v), 9) AS mean, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, count(*) - count(v) AS missing
+    FROM (UNPIVOT ({profiles.features_sql('all_predictions', ['pred_id'], 'text', 'train74', 'junun')}) ON {', '.join(CHECKED)} INTO NAME feature VALUE v) GROUP BY feature"""
+ORACLES["lexicon_flags"] = "SELECT pred_id, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}_{k}" for n, x in L.STRUCTURE.items() for k, e in (("any", DUCK.flag(DUCK.any("t", x))), ("terms", DUCK.distinct("t", x)), ("times", DUCK.occurrences("t", x)))) + " FROM (SELECT pred_id, coalesce(text, '') AS t FROM all_predictions) AS b"
 QUERIES |= {"linear_score_topk": linear_score_topk, "feature_contributions": feature_contributions}
 ORACLES |= _demo_sql()
 
