@@ -181,7 +181,7 @@ def too_large(df: DataFrame, id_column: str, text_column: str, room: int = CONTA
     return containers(df, id_column, text_column, room).where("piece = 1").select(id_column)
 
 
-def _ranked(parts: DataFrame, keys: list[str]) -> DataFrame:
+def ranked(parts: DataFrame, keys: list[str]) -> DataFrame:
     """``rank`` among the rows of a size, from 0, counted in two steps."""
     salted = parts.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)))
     sizes = salted.groupBy("size", "salt").agg(F.count("*").alias("n"))
@@ -215,6 +215,6 @@ def containers(df: DataFrame, id_column: str, text_column: str, room: int = CONT
             where = own[:, 3] + (rank - own[:, 1]) // own[:, 2]
             yield pa.RecordBatch.from_arrays([pa.array(where), batch.column(0), batch.column(1), pa.array(own[:, 4].astype(np.int32))], ["container", "id", "piece", "fill"])
 
-    ranked = _ranked(parts, ["id", "piece"]).select("id", "piece", "size", "rank")
+    placed = ranked(parts, ["id", "piece"]).select("id", "piece", "size", "rank")
     kind = parts.schema["id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"container bigint, id {kind}, piece int, fill int").withColumnRenamed("id", id_column)
+    return placed.mapInArrow(place, f"container bigint, id {kind}, piece int, fill int").withColumnRenamed("id", id_column)

@@ -1,4 +1,12 @@
-"""Rows that must stay together in one split (problem 5), by random-mate contraction."""
+"""Rows that must stay together in one split (problem 5), by random-mate contraction.
+
+Only the distinct files take part in it, each reduced to the authors (year of death and name) that it names; files of several authors are
+the edges. The splits are then dealt by size: for each size of group the driver holds how many there are (as many rows as there are sizes) and
+which ranks go to which split, and groups find theirs by their rank among those of their size.
+
+Defined results: a row without a file is a group of its own, and so is a file that names no author; rows delivered again go with their file;
+an empty table has no groups; columns other than the id and the file are not read.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +14,11 @@ import re
 import unicodedata
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from qissaflow.llm.packing import ranked
 from qissaflow.llm.scratch import written
 
 _SEVERAL = re.compile(r"\s*[+&]\s*|_+wa_+(?=\d)", re.IGNORECASE)
@@ -91,6 +100,5 @@ def splits(df: DataFrame, id_column: str, file_column: str, shares: dict[str, fl
     sized = written(rows.groupBy("group_id").agg(F.count("*").alias("size")), "sizes")
     counts = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count("*").alias("n")).collect()}
     table = df.sparkSession.createDataFrame(dealt(counts, shares or {"train": 0.8, "validation": 0.1, "test": 0.1}), "size long, low long, high long, split string")
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy("group_id")) - 1)
-    placed = ranked.join(F.broadcast(table), "size").where("rank >= low and rank < high").select("group_id", "split")
+    placed = ranked(sized, ["group_id"]).join(F.broadcast(table), "size").where("rank >= low and rank < high").select("group_id", "split")
     return rows.join(placed, "group_id").select(F.col("id").alias(id_column), "split")
