@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from qissaflow.functions.text import words
 from qissaflow.functions.dialect import DUCK, SPARK
-from qissaflow.operators import annotations, models, morphology, profiles, rules
+from qissaflow.operators import annotations, explain, models, morphology, profiles, rules
 from qissaflow.sources.shared import shared_folder
 from qissaflow.streaming import score as stream
 
@@ -76,6 +76,13 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "line int, rule string")
 
 
+def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts most in the boosted trees' score of every labelled item."""
+    rows = _labelled(spark, sf_dir)
+    model, _ = models.train_boosted(rows, maxIter=10)
+    return explain.tree_shapley(model, rows, COLUMNS, "id")
+
+
 def kernel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, auc = models.train_kernel(_labelled(spark, sf_dir), COLUMNS)
     return spark.createDataFrame([(float(auc),)], "held_out_auc double")
@@ -183,7 +190,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lr_train_report, top_coefficients, lr_scores, dual_scores, gbt_train_report, tree_rules, kernel_report, distill_rf, router, self_training, active_learning, stacking, word2vec_mean, tfidf_knn, knn_embeddings,
+        lr_train_report, top_coefficients, lr_scores, dual_scores, gbt_train_report, tree_rules, tree_shapley, kernel_report, distill_rf, router, self_training, active_learning, stacking, word2vec_mean, tfidf_knn, knn_embeddings,
         mutual_information, redundant_features, morphology_features, morphology_ratios, form_counts, annotation_features, stream_score,
     )
 }

@@ -83,3 +83,34 @@ def test_books_on_disk(spark, tmp_path):
     rows = books.book_lines(spark, str(tmp_path)).orderBy("pos").collect()
     assert [(r.author, r.work, r.pos, r.line) for r in rows] == [("0300Author", "Work", k, t) for k, t in enumerate(["#META#Header#End#", "# قال", "ثم", "~~x"])]
     assert books.book_lines(spark, str(tmp_path), author="other").count() == 0
+
+
+def test_shapley_values_of_trees_add_up_and_match_all_orders(spark):
+    from itertools import permutations
+
+    from qissaflow.operators import explain
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(int)
+    df = spark.createDataFrame([(f"i{k}", *map(float, a), int(b)) for k, (a, b) in enumerate(zip(x, y))], "id string, a double, b double, c double, label int").coalesce(1)
+    rows = models.prepared(df, ["a", "b", "c"], "id", "label").cache()
+    model, _ = models.train_boosted(rows, maxIter=3, maxDepth=3)
+    own = explain.leaves(model, spark)
+    data = [(r.id, r.x.toArray()) for r in rows.limit(12).collect()]
+    points = np.array([v for _, v in data])
+    values, base = explain.shapley(own, points)
+
+    def score(point, known):
+        return sum(v * np.prod([(path[f][0] < point[f] <= path[f][1]) if f in known else path[f][2] for f in path]) for v, path in own)
+
+    for point, got in zip(points, values):
+        want = np.zeros(3)
+        for order in permutations(range(3)):
+            for k, f in enumerate(order):
+                want[f] += (score(point, order[: k + 1]) - score(point, order[:k])) / 6
+        assert np.allclose(got, want) and abs(base + got.sum() - score(point, (0, 1, 2))) < 1e-9
+    raw = {r.id: r.rawPrediction[1] for r in model.transform(rows).collect()}
+    assert all(abs(raw[i] * 2 - (base + v.sum())) < 1e-6 for (i, _), v in zip(data, values))
+    out = explain.tree_shapley(model, rows, ["a", "b", "c"], "id", 2)
+    assert out.count() == 300
