@@ -13,9 +13,25 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def escaped(text: str) -> str:
+    return "".join(f"\\{c}" if c in r"\.^$|?*+()[]{}" else c for c in text)
+
+
 def pattern(terms: list[str]) -> str:
-    """Alternation of literal terms."""
-    return "|".join("".join(f"\\{c}" if c in r"\.^$|?*+()[]{}" else c for c in x) for x in terms)
+    """A pattern that is found in a text if any of the terms is. Terms that hold another one are left out, and the others are put
+    into a tree of their letters, so that a place in a text is given up at its first wrong letter."""
+    own = [x for x in dict.fromkeys(terms) if not any(y != x and y in x for y in terms)]
+
+    def branch(rest: list[str]) -> str:
+        if "" in rest:
+            return ""
+        heads: dict[str, list[str]] = {}
+        for x in rest:
+            heads.setdefault(x[0], []).append(x[1:])
+        parts = [escaped(c) + branch(tails) for c, tails in heads.items()]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return branch(own)
 
 
 def without_marks() -> tuple[str, str]:

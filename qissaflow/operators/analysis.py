@@ -17,6 +17,7 @@ from qissaflow.functions.lexicons import TRAIN
 from qissaflow.functions.text import strip, words
 from qissaflow.operators import rules
 from qissaflow.operators.profiles import TOKEN
+from qissaflow.sources.shared import spread
 
 Query = Callable[[Dialect], str]
 ANALYSES: dict[str, tuple[tuple[str, ...], Query]] = {}
@@ -36,7 +37,9 @@ def run(name: str, *tables: DataFrame) -> DataFrame:
     """The analysis over the given tables, in the order in which it names them."""
     names, query = ANALYSES[name]
     spark, text, views = tables[0].sparkSession, query(SPARK), []
+    heavy = "AS t FROM" in text  # it reads whole texts
     for table, df in zip(names, tables):
+        df = spread(df) if heavy else df
         views.append(f"{table}_{uuid.uuid4().hex}")
         df.createOrReplaceTempView(views[-1])
         text = text.replace(f"{{{table}}}", views[-1])
@@ -76,34 +79,39 @@ def decisions(d):
     return f"SELECT pred_id, {_columns(rules.decisions(d))} FROM {{all_predictions}}"
 
 
+def _base(table: str = "all_predictions") -> str:
+    return f"SELECT *, coalesce(text, '') AS t FROM {{{table}}}"
+
+
+def _filtered(d: Dialect) -> str:
+    return rules.in_steps(_base(), rules.post_filter_steps(d))
+
+
 @analysis("all_predictions")
 def two_tier_threshold(d):
-    return _texts(d, rules.two_tier)
+    return f"SELECT pred_id, {_columns(rules.two_tier(d))} FROM ({_filtered(d)}) AS f"
 
 
 @analysis("all_predictions")
 def post_filter_score(d):
-    return _texts(d, rules.post_filter)
+    return f"SELECT pred_id, fool, has_junun, has_paradox, is_ironic, has_wisdom, has_validation, filter_score, category, filter_class FROM ({_filtered(d)}) AS f"
 
 
 @analysis("all_predictions")
 def post_filter_classes(d):
-    made = rules.post_filter(d)["filter_class"]
-    return f"""SELECT filter_class, count(*) AS n, CAST(sum(CASE WHEN filter_class IN ('canonical', 'true') THEN 1 ELSE 0 END) AS BIGINT) AS reliable FROM (
-        SELECT {made} AS filter_class FROM (SELECT *, coalesce(text, '') AS t FROM {{all_predictions}}) AS b WHERE {rules.decisions(d)['strict']}) AS c GROUP BY filter_class"""
+    return f"""SELECT filter_class, count(*) AS n, CAST(sum(CASE WHEN filter_class IN ('canonical', 'true') THEN 1 ELSE 0 END) AS BIGINT) AS reliable FROM ({_filtered(d)}) AS f
+        WHERE {rules.decisions(d)['strict']} GROUP BY filter_class"""
 
 
 @analysis("all_predictions")
 def strict_flags(d):
-    return _texts(d, rules.strict_classes)
+    return f"SELECT pred_id, strict_fool, junun_markers, strict_paradox, akin_concepts, strict_class FROM ({rules.in_steps(_base(), rules.strict_steps(d))}) AS f"
 
 
 @analysis("all_predictions")
 def strict_classes(d):
-    made = rules.strict_classes(d)
-    return f"""SELECT coalesce(strict_class, 'none') AS strict_class, strict_fool, count(*) AS n, CAST(sum(junun_markers) AS BIGINT) AS markers FROM (
-        SELECT {_columns(made)} FROM (SELECT *, coalesce(text, '') AS t FROM {{all_predictions}}) AS b WHERE {rules.decisions(d)['strict']}) AS c
-        GROUP BY coalesce(strict_class, 'none'), strict_fool"""
+    return f"""SELECT coalesce(strict_class, 'none') AS strict_class, strict_fool, count(*) AS n, CAST(sum(junun_markers) AS BIGINT) AS markers FROM ({rules.in_steps(_base(), rules.strict_steps(d))}) AS f
+        WHERE {rules.decisions(d)['strict']} GROUP BY coalesce(strict_class, 'none'), strict_fool"""
 
 
 @analysis("all_predictions")
@@ -214,7 +222,7 @@ def pseudo_labels(d):
 @analysis("all_predictions")
 def cascade_balanced(d):
     """Model at 0.65 and rule filter at 0.25, the best 500."""
-    return f"""SELECT pred_id, lr, filter_score FROM (SELECT pred_id, lr, {rules.post_filter(d)['filter_score']} AS filter_score FROM (SELECT *, coalesce(text, '') AS t FROM {_scored(d)}) AS b) AS c
+    return f"""SELECT pred_id, lr, filter_score FROM (SELECT *, {d.without_nan('lr_prob')} AS lr FROM ({_filtered(d)}) AS f) AS c
         WHERE lr >= 0.65E0 AND filter_score >= 0.25E0 ORDER BY lr DESC, pred_id LIMIT 500"""
 
 
@@ -245,7 +253,7 @@ def length_stats(d):
 
 @analysis("all_predictions")
 def pattern_rates(d):
-    flags = {"junun": d.any("t", TRAIN["JUNUN_TERMS"]), "paradox": rules.post_filter(d)["has_paradox"], "dialogue": rules.quote_flags(d)["two_quotes"], "generic": rules.quote_flags(d)["likely_false_positive"]}
+    flags = {"junun": d.any("t", TRAIN["JUNUN_TERMS"]), "paradox": rules.post_filter_steps(d)[0]["has_paradox"], "dialogue": rules.quote_flags(d)["two_quotes"], "generic": rules.quote_flags(d)["likely_false_positive"]}
     sums = ", ".join(f"CAST(sum(CASE WHEN {k} THEN 1 ELSE 0 END) AS BIGINT) AS {k}_n, round(avg(CASE WHEN {k} THEN 1.0E0 ELSE 0.0E0 END), 6) AS {k}_rate" for k in flags)
     return f"SELECT count(*) AS n, {sums} FROM (SELECT {_columns(flags)} FROM (SELECT *, coalesce(text, '') AS t FROM {{all_predictions}}) AS b WHERE {rules.decisions(d)['strict']}) AS c"
 

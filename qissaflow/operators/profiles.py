@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from qissaflow.functions.dialect import DUCK, SPARK, Dialect
 from qissaflow.functions.lexicons import CASCADE, SMALL, TRAIN, V50
+from qissaflow.sources.shared import spread
 
 TOKEN = "[ء-يٱ-ۓ]+"
 Block = dict[str, str]
@@ -287,6 +288,7 @@ def features(df: DataFrame, id_columns: list[str], text_column: str, profile: st
     blocks = PROFILES[profile](SPARK)
     wanted = blocks[block] if block else {k: v for b in blocks.values() for k, v in b.items()}
     base = df.selectExpr(*(f"`{c}`" for c in id_columns), f"coalesce(`{text_column}`, '') AS t")
+    base = base if base.isStreaming else spread(base)
     for name, expression in bases(SPARK)[profile]:
         base = base.selectExpr("*", f"{expression} AS {name}")
     return base.selectExpr(*(f"`{c}`" for c in id_columns), *(f"CAST({v} AS DOUBLE) AS {k}" for k, v in wanted.items()))
@@ -307,7 +309,7 @@ def lexicon_flags(df: DataFrame, id_columns: list[str], text_column: str, lexico
     """For each of any number of lexicons: whether the text has a term of it, how many of its terms, and how often they occur."""
     t = f"coalesce(`{text_column}`, '')"
     cells = [f"CAST({e} AS DOUBLE) AS {name}_{k}" for name, terms in lexicons.items() for k, e in (("any", SPARK.flag(SPARK.any(t, terms))), ("terms", SPARK.distinct(t, terms)), ("times", SPARK.occurrences(t, terms)))]
-    return df.selectExpr(*(f"`{c}`" for c in id_columns), *cells)
+    return spread(df).selectExpr(*(f"`{c}`" for c in id_columns), *cells)
 
 
 def feature_check(features: DataFrame, columns: list[str]) -> DataFrame:

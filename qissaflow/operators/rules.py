@@ -34,37 +34,49 @@ def _no_dot(patterns: list[str]) -> list[str]:
     return [p.replace(".*", r"[^\n]*") for p in patterns]
 
 
-def post_filter(d: Dialect, t: str = "t") -> dict[str, str]:
-    """The flags of the rule filter, its score and category."""
-    fool = fools(d, t, FILTER)
-    junun = d.any(t, FILTER["JUNUN_MARKERS"])
+def post_filter_steps(d: Dialect, t: str = "t") -> list[dict[str, str]]:
+    """The flags of the rule filter, its score and category; each step uses the columns of those before."""
     said = f"instr({t}, 'قال')"
-    paradox = "(" + " OR ".join(f"({said} > 0 AND instr({t}, {d.text(m)}) > {said} AND instr({t}, {d.text(m)}) - {said} < 200)" for m in FILTER["PARADOX_MARKERS"]) + ")"
-    ironic = "(" + " OR ".join([d.matches(t, p) for p in _no_dot(FILTER["IRONY_PATTERNS"])] + [f"(contains({t}, '{a}') AND contains({t}, '{b}'))" for a, b in SMALL["OPPOSITES"]]) + ")"
-    wise = d.distinct(t, FILTER["WISDOM_WORDS"])
-    wisdom = f"(({junun} AND {wise} >= 2) OR ({paradox} AND {wise} >= 1))"
-    valid = d.any(t, FILTER["VALIDATION_MARKERS"])
-    points = " + ".join(f"CASE WHEN {c} THEN {w}E0 ELSE 0.0E0 END" for c, w in ((junun, 0.4), (paradox, 0.3), (ironic, 0.2), (wisdom, 0.1), (valid, 0.1)))
-    score = f"CASE WHEN {fool} IS NOT NULL THEN 1.0E0 ELSE least({points}, 1.0E0) END"
-    return {
-        "fool": fool, "has_junun": junun, "has_paradox": paradox, "is_ironic": ironic, "has_wisdom": wisdom, "has_validation": valid, "filter_score": score,
-        "category": f"CASE WHEN {fool} IS NOT NULL THEN 'canonical_fool' WHEN {score} > 0 THEN 'true_majnun' ELSE 'false_positive' END",
-        "filter_class": f"CASE WHEN {fool} IS NOT NULL THEN 'canonical' WHEN {score} >= 0.5E0 THEN 'true' WHEN {score} > 0 THEN 'weak' ELSE 'rejected' END",
-    }
-
-
-def strict_classes(d: Dialect, t: str = "t") -> dict[str, str]:
+    gaps = " OR ".join(f"(instr({t}, {d.text(m)}) > {said} AND instr({t}, {d.text(m)}) - {said} < 200)" for m in dict.fromkeys(FILTER["PARADOX_MARKERS"]))
+    ironic = [d.matches(t, p) for p in _no_dot(FILTER["IRONY_PATTERNS"])] + [f"(contains({t}, '{a}') AND contains({t}, '{b}'))" for a, b in SMALL["OPPOSITES"]]
+    flags = {
+        "fool": fools(d, t, FILTER),
+        "has_junun": d.any(t, FILTER["JUNUN_MARKERS"]),
+        "has_paradox": f"({said} > 0 AND ({gaps}))",
+        "is_ironic": "(" + " OR ".join(ironic) + ")",
+        "wise": d.distinct(t, FILTER["WISDOM_WORDS"]),
+        "has_validation": d.any(t, FILTER["VALIDATION_MARKERS"]),
+    }
+    points = " + ".join(f"CASE WHEN {c} THEN {w}E0 ELSE 0.0E0 END" for c, w in (("has_junun", 0.4), ("has_paradox", 0.3), ("is_ironic", 0.2), ("has_wisdom", 0.1), ("has_validation", 0.1)))
+    return [
+        flags,
+        {"has_wisdom": "((has_junun AND wise >= 2) OR (has_paradox AND wise >= 1))"},
+        {"filter_score": f"CASE WHEN fool IS NOT NULL THEN 1.0E0 ELSE least({points}, 1.0E0) END"},
+        {
+            "category": "CASE WHEN fool IS NOT NULL THEN 'canonical_fool' WHEN filter_score > 0 THEN 'true_majnun' ELSE 'false_positive' END",
+            "filter_class": "CASE WHEN fool IS NOT NULL THEN 'canonical' WHEN filter_score >= 0.5E0 THEN 'true' WHEN filter_score > 0 THEN 'weak' ELSE 'rejected' END",
+        },
+    ]
+
+
+def in_steps(query: str, steps: list[dict[str, str]]) -> str:
+    """``query`` with the columns of each step added."""
+    for k, step in enumerate(steps):
+        query = f"SELECT *, {', '.join(f'{v} AS {c}' for c, v in step.items())} FROM ({query}) AS step{k}"
+    return query
+
+
+def strict_steps(d: Dialect, t: str = "t") -> list[dict[str, str]]:
     """Canonical fool, markers of folly, paradox in a dialogue, dialogue only, or no class (null)."""
-    fool, count = fools(d, t, STRICT), d.occurrences(t, STRICT["JUNUN_WORDS"])
-    paradox = "(" + " OR ".join(d.matches(t, p) for p in _no_dot(STRICT["PARADOX_PATTERNS"])) + ")"
-    said = d.any(t, ["قال"])
-    return {
-        "strict_fool": fool,
-        "junun_markers": f"CAST({count} AS INT)",
-        "strict_paradox": paradox,
+    flags = {
+        "strict_fool": fools(d, t, STRICT),
+        "junun_markers": f"CAST({d.occurrences(t, STRICT['JUNUN_WORDS'])} AS INT)",
+        "strict_paradox": "(" + " OR ".join(d.matches(t, p) for p in _no_dot(STRICT["PARADOX_PATTERNS"])) + ")",
         "akin_concepts": d.distinct(t, STRICT["AKIN_CONCEPTS"]),
-        "strict_class": f"CASE WHEN {fool} IS NOT NULL THEN 'canonical' WHEN {count} > 0 THEN 'true_majnun' WHEN {paradox} AND {said} THEN 'true_majnun' WHEN {said} THEN 'dialogue_only' END",
+        "said": d.any(t, ["قال"]),
     }
+    chain = "WHEN strict_fool IS NOT NULL THEN 'canonical' WHEN junun_markers > 0 THEN 'true_majnun' WHEN strict_paradox AND said THEN 'true_majnun' WHEN said THEN 'dialogue_only'"
+    return [flags, {"strict_class": f"CASE {chain} END"}]
 
 
 def seven_rules(d: Dialect, t: str = "t") -> dict[str, str]:
@@ -151,8 +163,7 @@ def decisions(d: Dialect) -> dict[str, str]:
     }
 
 
-def two_tier(d: Dialect, t: str = "t") -> dict[str, str]:
-    """A lower threshold where the text has markers of folly or a paradox."""
-    rules = post_filter(d, t)
-    level = f"CASE WHEN {rules['has_junun']} THEN 0.65E0 WHEN {rules['has_paradox']} THEN 0.7E0 ELSE 0.85E0 END"
+def two_tier(d: Dialect) -> dict[str, str]:
+    """A lower threshold where the text has markers of folly or a paradox; after the steps of the rule filter."""
+    level = "CASE WHEN has_junun THEN 0.65E0 WHEN has_paradox THEN 0.7E0 ELSE 0.85E0 END"
     return {"level": level, "kept": is_true(f"{d.without_nan('lr_prob')} >= {level}")}

@@ -13,6 +13,7 @@ from qissaflow.functions import text as T
 from qissaflow.functions.dialect import DUCK, SPARK, Dialect
 from qissaflow.operators import analysis, profiles, scoring, segment
 from qissaflow.plans import model_queries
+from qissaflow.sources.shared import spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -68,7 +69,7 @@ def _text_columns() -> dict[str, Callable[[Dialect], dict[str, str]]]:
 
 
 def _text(make: Callable[[Dialect], dict[str, str]], spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "all_predictions").where("text IS NOT NULL").selectExpr("pred_id", "text AS t")
+    rows = spread(table(spark, sf_dir, "all_predictions").where("text IS NOT NULL").selectExpr("pred_id", "text AS t"))
     return rows.selectExpr("pred_id", *(f"{v} AS {k}" for k, v in make(SPARK).items()))
 
 
@@ -108,7 +109,7 @@ ORACLES |= _segment_sql()
 def isnad_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qissaflow.functions.isnad import isnad_matn
 
-    rows = table(spark, sf_dir, "all_predictions").where("text IS NOT NULL")
+    rows = spread(table(spark, sf_dir, "all_predictions").where("text IS NOT NULL").select("pred_id", "text"))
     return rows.select("pred_id", isnad_matn("text").alias("parts")).select("pred_id", "parts.isnad", "parts.matn")
 
 

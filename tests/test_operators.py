@@ -12,19 +12,22 @@ T0 = dt.datetime(2025, 1, 1)
 
 def applied(spark, make, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    return df.selectExpr("t", *(f"{v} AS {k}" for k, v in make(SPARK).items())).collect()
+    steps = make(SPARK)
+    for step in steps if isinstance(steps, list) else [steps]:
+        df = df.selectExpr("*", *(f"{v} AS {k}" for k, v in step.items()))
+    return df.collect()
 
 
 def test_post_filter_scores(spark):
     texts = ["جاء بهلول", "قال مجنون ولكن حكيم عاقل صدقت", "قال لكن", "لكن قال", "شيء", "قال أحمق ثم ضحكوا"]
-    got = applied(spark, rules.post_filter, texts)
+    got = applied(spark, rules.post_filter_steps, texts)
     assert [(r.category, round(r.filter_score, 3), r.filter_class) for r in got] == [
         ("canonical_fool", 1.0, "canonical"), ("true_majnun", 0.9, "true"), ("true_majnun", 0.3, "weak"), ("false_positive", 0.0, "rejected"), ("false_positive", 0.0, "rejected"), ("true_majnun", 0.3, "weak"),
     ]
 
 
 def test_strict_classes_leave_some_without_a_class(spark):
-    got = applied(spark, rules.strict_classes, ["قال سعدون", "رجل مجنون", "قال هذا إلا ذاك", "قال هذا", "لا شيء", ""])
+    got = applied(spark, rules.strict_steps, ["قال سعدون", "رجل مجنون", "قال هذا إلا ذاك", "قال هذا", "لا شيء", ""])
     assert [r.strict_class for r in got] == ["canonical", "true_majnun", "true_majnun", "dialogue_only", None, None]
 
 
@@ -83,3 +86,15 @@ def test_linear_score_and_contributions_agree(spark):
     assert abs(p[1] - 1 / (1 + 2.718281828459045 ** -(0.25 + 0.5 - 2.0))) < 1e-12
     got = [(r.rank, r.feature, r.added) for r in scoring.contributions(df.where("id = 1"), ["id"], model).orderBy("rank").collect()]
     assert got == [(1, "b", -2.0), (2, "a", 0.5)]
+
+
+def test_patterns_are_found_where_any_term_is():
+    import re
+
+    from qissaflow.functions.dialect import pattern
+    from qissaflow.functions.lexicons import TRAIN
+
+    terms = [*TRAIN["JUNUN_TERMS"], "a.b", "a*", "ab"]
+    found = re.compile(pattern(terms))
+    for text in ["", "المجنون", "مجن", "ذهب", "ذه", "axb", "a.b", "xa*", "abc", "a", *TRAIN["JUNUN_TERMS"]]:
+        assert bool(found.search(text)) == any(t in text for t in terms)
