@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qissaflow.sources.shared import shared_folder
+from qissaflow.sources.shared import shared_folder, spread
+
+__all__ = ["spread", "written"]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -28,10 +30,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as the cluster has cores, if its files give fewer: heavy work on each row then doesn't run
-    in one task where a table is one row group. A table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
