@@ -1 +1 @@
-"""Subpackage."""
+"""Scoring narratives as they arrive."""
