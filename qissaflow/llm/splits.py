@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from qissaflow.llm.packing import ranked
-from qissaflow.llm.scratch import written
+from qissaflow.llm.scratch import forget, written
 
 _SEVERAL = re.compile(r"\s*[+&]\s*|_+wa_+(?=\d)", re.IGNORECASE)
 _AUTHOR = re.compile(r"\s*(\d+)(.*)", re.DOTALL)
@@ -49,10 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).where(f"xxhash64({k}, a) & 1 = 0 and xxhash64({k}, b) & 1 = 1")
         mates = written(both.groupBy("a").agg(F.min("b").alias("mate")), "mates")
+        old = (labels, edges, mates)
         labels = written(labels.join(mates, F.col("label") == F.col("a"), "left").select("v", F.coalesce("mate", "label").alias("label")), "labels")
         one = edges.join(mates, "a", "left").select(F.coalesce("mate", "a").alias("x"), "b")
         two = one.join(mates.withColumnRenamed("a", "b"), "b", "left").select("x", F.coalesce("mate", "b").alias("y"))
         edges = written(two.where("x <> y").selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct(), "edges")
+        forget(*old)
         k += 1
     return labels
 
