@@ -57,10 +57,10 @@ def _auc(predictions: DataFrame) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", numBins=0).evaluate(predictions)
 
 
-def train_logistic(rows: DataFrame, columns: list[str], grid: tuple[float, ...] = GRID, folds: int = 5) -> tuple[object, dict]:
+def train_logistic(rows: DataFrame, columns: list[str], grid: tuple[float, ...] = GRID, folds: int = 5, rounds: int = 100) -> tuple[object, dict]:
     """The logistic regression refitted with the strength that is best by cross-validation, and a report of it."""
     n = rows.count()
-    lr = LogisticRegression(featuresCol="x", weightCol="weight", standardization=False, maxIter=100)
+    lr = LogisticRegression(featuresCol="x", weightCol="weight", standardization=False, maxIter=rounds)
     params = ParamGridBuilder().addGrid(lr.regParam, [1 / (c * n) for c in grid]).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=params, evaluator=BinaryClassificationEvaluator(numBins=0), numFolds=folds, foldCol="fold").fit(rows)
     best = max(range(len(grid)), key=lambda k: cv.avgMetrics[k])

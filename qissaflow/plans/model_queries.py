@@ -27,8 +27,11 @@ COLUMNS = [k for b in profiles.train74(SPARK).values() for k in b]
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = profiles.features(_items(spark, sf_dir), ["id", "label"], "text_ar", "train74").coalesce(2).cache()
-    return models.prepared(features, COLUMNS, "id", "label").cache()
+    features = profiles.features(_items(spark, sf_dir), ["id", "label"], "text_ar", "train74").coalesce(1).cache()
+    # written and read back: the plan of 65 expressions would be optimised again for each of the many jobs of a fit
+    path = f"{shared_folder(spark)}/labelled-{uuid.uuid4().hex}"
+    models.prepared(features, COLUMNS, "id", "label").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _pool(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +43,7 @@ def _pool(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataF
 
 def lr_train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
-    _, report = models.train_logistic(rows, COLUMNS)
+    _, report = models.train_logistic(rows, COLUMNS, rounds=20)
     own = [(k, *map(float, (v, report["best_c"], report["cv_auc_mean"], report["held_out_auc"], report["refit_auc"]))) for k, v in report["coefficients"].items()]
     return spark.createDataFrame(own, "feature string, coefficient double, best_c double, cv_auc double, held_out_auc double, refit_auc double")
 
@@ -51,14 +54,14 @@ def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted regression over the whole corpus."""
-    model, _ = models.train_logistic(_labelled(spark, sf_dir), COLUMNS, grid=(0.01,))
+    model, _ = models.train_logistic(_labelled(spark, sf_dir), COLUMNS, grid=(0.01,), rounds=20)
     return model.transform(_pool(spark, sf_dir)).select("pred_id", vector_to_array("probability")[1].alias("lr"))
 
 
 def dual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models over the whole corpus, each with its own scaling, and their consensus."""
     rows = _labelled(spark, sf_dir)
-    lr, _ = models.train_logistic(rows, COLUMNS, grid=(0.01,))
+    lr, _ = models.train_logistic(rows, COLUMNS, grid=(0.01,), rounds=20)
     boosted, _ = models.train_boosted(rows, maxIter=20)
     one = lr.transform(_pool(spark, sf_dir)).select("pred_id", "x", vector_to_array("probability")[1].alias("lr"))
     both = boosted.transform(one).select("pred_id", "lr", vector_to_array("probability")[1].alias("xgb"))
