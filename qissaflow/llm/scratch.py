@@ -1,41 +1,5 @@
 """Cutting lineage with tables written to the folder all executors share."""
 
-from __future__ import annotations
-
-import atexit
-import logging
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from qissaflow.sources.shared import shared_folder, spread
+from qissaflow.sources.shared import forget, spread, written
 
 __all__ = ["forget", "spread", "written"]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception as e:  # the session may be gone by now
-        logging.getLogger(__name__).debug("%s was not removed: %s", path, e)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: later steps neither repeat its work nor
-    depend on an executor that made it. The table is removed by ``forget``, or when the process ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/qissaflow-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Remove tables that were ``written`` and that nothing reads any more."""
-    for df in tables:
-        if path := df.__dict__.pop("written_path", None):
-            _remove(df.sparkSession, path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from qissaflow.functions.text import words
 from qissaflow.functions.dialect import DUCK, SPARK
 from qissaflow.operators import annotations, explain, models, morphology, profiles, rules
-from qissaflow.sources.shared import shared_folder
+from qissaflow.sources.shared import shared_folder, written
 from qissaflow.streaming import score as stream
 
 
@@ -34,10 +34,17 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _pool(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
+def _corpus(spark: SparkSession, sf_dir: str, more: dict[str, str]) -> DataFrame:
+    """The features of the whole corpus, and columns of expressions over it. Worked out once, written and read back: a fit goes over
+    its rows several times. Unscaled, since most features are 0 then and take no room."""
+    rows = table(spark, sf_dir, "all_predictions").selectExpr("pred_id", "text", *(f"{v} AS {k}" for k, v in more.items()))
+    return models.clean(written(profiles.features_in_batches(rows, ["pred_id", *more], "text"), "corpus"), COLUMNS)
+
+
+def _pool(spark: SparkSession, sf_dir: str, more: dict[str, str] = {}) -> DataFrame:
     """The whole corpus with the vector x, scaled by the labelled items."""
-    items = models.clean(profiles.features(_items(spark, sf_dir), ["id"], "text_ar", "train74"), COLUMNS)
-    rows = models.clean(profiles.features(table(spark, sf_dir, "all_predictions"), ["pred_id", *more], "text", "train74"), COLUMNS)
+    items = models.clean(profiles.features_in_batches(_items(spark, sf_dir), ["id"], "text_ar"), COLUMNS)
+    rows = _corpus(spark, sf_dir, more)
     return models.VectorAssembler(inputCols=COLUMNS, outputCol="x").transform(models.scaled(rows, models.scaler(items, COLUMNS))).select("pred_id", *more, "x")
 
 
@@ -93,7 +100,7 @@ def kernel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distill_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest that follows the corpus's own probabilities."""
-    rows = _pool(spark, sf_dir, ("lr_prob",)).where("lr_prob IS NOT NULL AND NOT isnan(lr_prob)")
+    rows = _pool(spark, sf_dir, {"lr_prob": "lr_prob"}).where("lr_prob IS NOT NULL AND NOT isnan(lr_prob)")
     return models.distill(rows, "lr_prob")[1].select("pred_id", "lr_prob", F.col("prediction").alias("student"))
 
 
