@@ -154,8 +154,7 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redundant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = profiles.features(table(spark, sf_dir, "all_predictions"), ["pred_id"], "text", "train74")
-    kept = models.redundant(features, COLUMNS, {c: k for k, c in enumerate(COLUMNS)})
+    kept = models.redundant(_corpus(spark, sf_dir, {}), COLUMNS, {c: k for k, c in enumerate(COLUMNS)})
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 

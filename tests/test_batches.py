@@ -1,10 +1,15 @@
 """Features in Arrow batches against those in SQL, and the model queries that go over the whole corpus."""
 
+import os
+
 import numpy as np
 import pytest
 
 from qissaflow.functions.lexicons import SMALL, TRAIN
 from qissaflow.operators import models, profiles
+from qissaflow.plans import model_queries
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_batches_have_the_features_of_sql(spark):
@@ -33,3 +38,12 @@ def test_self_training_adds_a_row_once(spark):
     pool = models.VectorAssembler(inputCols=["a"], outputCol="x").transform(spark.createDataFrame(far, "id string, a double").coalesce(1)).selectExpr("id", "x", "1 AS fold")
     _, added = models.self_training(data, pool, ["a"], "id", rounds=3)
     assert added == [2, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_redundant_features_reads_the_texts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "redundant", lambda features, columns, ranks: seen.append(features) or columns[:2])
+    assert model_queries.redundant_features(spark, FOLDER).count() == 2
+    assert set(model_queries.COLUMNS) <= set(seen[0].columns) and seen[0].count() == spark.read.parquet(f"{FOLDER}/all_predictions.parquet").count()
+    assert not any("all_predictions" in f for f in seen[0].inputFiles())
