@@ -104,9 +104,11 @@ def distill_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.distill(rows, "lr_prob")[1].select("pred_id", "lr_prob", F.col("prediction").alias("student"))
 
 
+TEXT = "coalesce(text, '')"
+
+
 def router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "all_predictions").selectExpr("pred_id", "coalesce(text, '') AS t").selectExpr("pred_id", f"{rules.routes(SPARK)['expert']} - 1 AS route")
-    rows = _pool(spark, sf_dir).join(base, "pred_id")
+    rows = _pool(spark, sf_dir, {"route": f"{rules.routes(SPARK, TEXT)['expert']} - 1"})
     return models.train_router(rows, "route")[1].select("pred_id", "route", F.col("prediction").cast("int").alias("learned"))
 
 

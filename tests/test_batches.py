@@ -5,8 +5,9 @@ import os
 import numpy as np
 import pytest
 
+from qissaflow.functions.dialect import SPARK
 from qissaflow.functions.lexicons import SMALL, TRAIN
-from qissaflow.operators import models, profiles
+from qissaflow.operators import models, profiles, rules
 from qissaflow.plans import model_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,14 @@ def test_redundant_features_reads_the_texts_once(spark, monkeypatch):
     assert model_queries.redundant_features(spark, FOLDER).count() == 2
     assert set(model_queries.COLUMNS) <= set(seen[0].columns) and seen[0].count() == spark.read.parquet(f"{FOLDER}/all_predictions.parquet").count()
     assert not any("all_predictions" in f for f in seen[0].inputFiles())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_router_reads_the_texts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "train_router", lambda rows, route: (seen.append(rows), (None, rows.withColumn("prediction", models.F.lit(0.0))))[1])
+    got = model_queries.router(spark, FOLDER)
+    assert got.columns == ["pred_id", "route", "learned"] and not any("all_predictions" in f for f in seen[0].inputFiles())
+    text = spark.read.parquet(f"{FOLDER}/all_predictions.parquet").selectExpr("pred_id", "coalesce(text, '') AS t")
+    want = text.selectExpr("pred_id", f"{rules.routes(SPARK)['expert']} - 1 AS route")
+    assert sorted(map(tuple, got.select("pred_id", "route").collect())) == sorted(map(tuple, want.collect()))
